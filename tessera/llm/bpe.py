@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are gathered before their new words are replayed together.
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 12_000_000
 #: Distinct chunks whose ids a worker remembers; beyond it the memory is emptied.
-CACHED = 500_000
+CACHED = 300_000
 _NONE = np.int32(2**31 - 1)
 _WINDOW = 1024
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -195,18 +195,22 @@ def text_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     replay, fine = _replay(path), regex.compile(pattern)
     known: dict[str, bytes] = {}
 
+    def chunks(text: str) -> list[str]:
+        return fine.findall(text) if _ODD_SPACE.search(text) else _COARSE.findall(text)
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [fine.findall(t) if _ODD_SPACE.search(t) else _COARSE.findall(t) for t in texts]
-        new = set().union(*split).difference(known)
+        new: set[str] = set()  # texts are cut twice, since the chunks of a whole batch would take much more memory
+        for text in texts:
+            new.update(c for c in chunks(text) if c not in known)
         if len(known) + len(new) > CACHED:
             known.clear()
-            new = set().union(*split)
-        parts = {c: fine.findall(c) for c in new}
-        words = list(set().union(*parts.values()))
+            for text in texts:
+                new.update(chunks(text))
+        words = list({w for c in new for w in fine.findall(c)})
         ids = dict(zip(words, replay.encode([w.encode() for w in words]), strict=True))
-        for chunk, own in parts.items():
-            known[chunk] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
-        return [b"".join([known[c] for c in chunks]) for chunks in split]
+        for chunk in new:
+            known[chunk] = b"".join([ids[w] for w in fine.findall(chunk)])
+        return [b"".join([known[c] for c in chunks(text)]) for text in texts]
 
     return encode
 

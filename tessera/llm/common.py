@@ -22,15 +22,20 @@ _CHUNK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so a lost executor costs no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset a temporary one is used.
+    Only where that is unset, as in tests, it is set to a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -58,20 +63,23 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(buf: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lowered if asked for.
+def word_hashes(buf: np.ndarray, lower: bool = True, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of UTF-8 bytes, A-Z lowered if asked for.
 
-    Works through pieces that end in white space, so memory stays a small multiple of a piece.
+    Words are what stands between bytes that `between` marks, [^\\x20\\x09-\\x0D]+ if not said otherwise.
+    With prefixes the hashes have a row for the words and one for the first so many bytes of each; a word
+    that is no longer has 0 there. Works through pieces that end between words, so memory stays a small
+    multiple of a piece.
     """
     hashes, starts, ends = [], [], []
     at, n = 0, len(buf)
     while at < n:
         end = min(n, at + _CHUNK)
-        while end < n and not _SPACE[buf[end - 1]]:
-            gap = _SPACE[buf[end : end + 4096]]
+        while end < n and not between[buf[end - 1]]:
+            gap = between[buf[end : end + 4096]]
             end = end + int(gap.argmax()) + 1 if gap.any() else min(n, end + 4096)
         piece = buf[at:end]
-        word = ~_SPACE[piece]
+        word = ~between[piece]
         edge = np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(s):
@@ -80,14 +88,19 @@ def word_hashes(buf: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nda
             sums = np.empty(len(piece) + 1, _U)
             sums[0] = 0
             np.cumsum(_TABLE[piece] * _power(_BASE, len(piece)), out=sums[1:])
-            h = (sums[e] - sums[s]) * _power(_INVERSE, len(piece))[s]
-            hashes.append(mix(h + (e - s).astype(_U)))
+            back = _power(_INVERSE, len(piece))[s]
+            h = mix((sums[e] - sums[s]) * back + (e - s).astype(_U))
+            if prefixes:
+                cut = [np.where(e - s > k, mix((sums[np.minimum(e, s + k)] - sums[s]) * back + _U(k) * _U(_BASE)), _U(0)) for k in prefixes]
+                h = np.stack([h, *cut])
+            hashes.append(h)
             starts.append(s + at)
             ends.append(e + at)
         at = end
     if not hashes:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+        shape = (1 + len(prefixes), 0) if prefixes else (0,)
+        return np.empty(shape, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(hashes, axis=-1), np.concatenate(starts), np.concatenate(ends)
 
 
 def text_buffers(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,3 +148,29 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
 def crc32_mod(column, modulus: int):
     """crc32(id as text) mod modulus."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
+    """(text, label) of at most `per_class` documents of each class, in an order fixed by a hash of their ids.
+
+    The number of rows that reach the driver is bounded by twice `per_class`. Null labels, ids and texts are left out.
+    """
+    chosen = None
+    for value in (0, 1):
+        own = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(value).alias("label"))
+        own = own.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").collect()
+    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["text"]))]
+
+
+def adam(gradient, weights: np.ndarray, steps: int, rate: float) -> np.ndarray:
+    """Minimises by Adam; gradient(weights, step) gives the gradient."""
+    m, v = np.zeros_like(weights), np.zeros_like(weights)
+    for t in range(1, steps + 1):
+        g = gradient(weights, t)
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        weights = weights - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return weights

@@ -11,12 +11,16 @@ ITERATIONS = 60
 
 
 def _relinked(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation as a minimum per node and a join back, both of which Spark can split for a node with many edges."""
+    """One star operation as a minimum per node and a join back.
+
+    The minima are stored first, so that the join has a plain exchange on either side and Spark can split a
+    node with many edges.
+    """
     pairs = edges
     if large:
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = checkpointed(least.select("u", F.least("u", "m").alias("m")))
     linked = pairs.join(least, "u")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import fingerprint, quality, tiff, toxicity
 from tessera.llm.bpe import bpe_decode, bpe_encode
-from tessera.llm.common import documents
+from tessera.llm.common import crc32_mod, documents
+from tessera.llm.lines import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import packed_documents
 
@@ -33,10 +35,52 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.where(crc32_mod(F.col("doc_id"), 4) != 2))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.train(docs, labels.where(crc32_mod(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, model).select(
+        "doc_id",
+        (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "passages",
+        "best_passage",
+    )
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(documents(spark, sf_dir))
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.stored_texts(documents(spark, sf_dir))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_toxicity": op6_toxicity,
+    "op8_media_columns": op8_media_columns,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {}
