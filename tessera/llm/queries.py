@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprint, quality, tiff, toxicity
+from tessera.llm import fingerprint, html, quality, tiff, toxicity
 from tessera.llm.bpe import bpe_decode, bpe_encode
 from tessera.llm.common import crc32_mod, documents
 from tessera.llm.lines import dedup_lines
@@ -64,6 +64,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited(documents(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html.main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(documents(spark, sf_dir))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op8_media_columns": op8_media_columns,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
