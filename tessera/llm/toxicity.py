@@ -68,35 +68,43 @@ def fit(rows: list[tuple[str, int]], steps: int = 300) -> ToxicityModel:
     if not 0 < labels.sum() < len(labels):
         return ToxicityModel(weights, -40.0 if not labels.sum() else 40.0)
     texts = pa.array([t for t, _ in rows])
-    docs, sents, feats = [], [], []
-    base = 0
-    for first, buf, offsets in text_buffers(texts):
-        feature, starts, _ = _features(buf)
-        number = np.cumsum(_STOP[buf])[starts] if len(starts) else np.empty(0, np.int64)
-        doc = np.searchsorted(offsets, starts, side="right") - 1 + first
-        for row in feature:
-            docs.append(doc)
-            sents.append(number + base)
-            feats.append(row)
-        base += int(number.max(initial=0)) + 1
-    doc, sent, feat = map(np.concatenate, (docs, sents, feats))
-    doc, sent, feat = doc[feat > 0], sent[feat > 0], feat[feat > 0]
-    seen = np.unique(doc.astype(np.int64) << BITS | feat)
-    in_docs, of = seen >> BITS, seen & ((1 << BITS) - 1)
+
+    def occurrences():
+        """Document, sentence and feature of every occurrence, a few MB of text at a time."""
+        base = 0
+        for first, buf, offsets in text_buffers(texts):
+            feature, starts, _ = _features(buf)
+            if not len(starts):
+                continue
+            number = np.cumsum(_STOP[buf])[starts] + base
+            base = int(number[-1]) + 1
+            doc = np.searchsorted(offsets, starts, side="right") - 1 + first
+            yield from ((doc[row > 0], number[row > 0], row[row > 0]) for row in feature)
+
+    size = 1 << BITS
+    with1, all_ = np.zeros(size), np.zeros(size)
+    for doc, _, feature in occurrences():
+        seen = np.unique(doc << BITS | feature)
+        all_ += np.bincount(seen & (size - 1), minlength=size)
+        with1 += np.bincount(seen & (size - 1), labels[seen >> BITS], size)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    with1, all_ = np.bincount(of, labels[in_docs], 1 << BITS), np.bincount(of, minlength=1 << BITS)
-    with0 = all_ - with1
-    odds = np.log((with1 + 0.5) / (n1 + 1)) - np.log((with0 + 0.5) / (n0 + 1))
+    odds = np.log((with1 + 0.5) / (n1 + 1)) - np.log((all_ - with1 + 0.5) / (n0 + 1))
     tell = np.where((all_ >= MIN_DOCUMENTS) & (odds > 0), odds * np.sqrt(with1), 0)
     chosen = np.sort(np.argsort(-tell, kind="stable")[:FEATURES])
     chosen = chosen[tell[chosen] > 0]
-    place = np.full(1 << BITS, -1)
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    everyone = np.unique(sent)
-    owner = np.zeros(len(everyone), np.int64)
-    owner[np.searchsorted(everyone, sent)] = doc
-    kept = place[feat] >= 0
-    f, s = place[feat[kept]], np.searchsorted(everyone, sent[kept])
+    features, sentences, every, owners = [], [], [], []
+    for doc, number, feature in occurrences():
+        kept = place[feature] >= 0
+        features.append(place[feature[kept]])
+        sentences.append(number[kept])
+        new = np.flatnonzero(np.diff(number, prepend=-1))
+        every.append(number[new])
+        owners.append(doc[new])
+    everyone, at = np.unique(np.concatenate(every), return_index=True)
+    owner = np.concatenate(owners)[at]
+    f, s = np.concatenate(features), np.searchsorted(everyone, np.concatenate(sentences))
 
     def gradient(w: np.ndarray, _: int) -> np.ndarray:
         z = np.bincount(s, w[f], len(everyone)) + w[-1]
