@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprint, html, quality, tiff, toxicity
-from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.bpe import bpe_encode
+from tessera.llm.chat import format_chat
 from tessera.llm.common import crc32_mod, documents
 from tessera.llm.lines import dedup_lines
 from tessera.llm.minhash import near_duplicates
@@ -24,9 +25,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return rows.select("conv_id", "position", "turn", "role", "message", "n_calls", "n_invalid")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe_encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, decode=True)
     return coded.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
@@ -80,6 +86,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_toxicity": op6_toxicity,
@@ -89,4 +96,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # conversations hold no calls, so a message is its content and role
+    "op3_chat_formatting": """
+        SELECT conv_id,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position,
+               turn, role,
+               concat('{"content":', to_json(text), ',"role":', to_json(role), '}') AS message,
+               CAST(0 AS INTEGER) AS n_calls, CAST(0 AS INTEGER) AS n_invalid
+        FROM conversations""",
+}
