@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -40,15 +42,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, release: bool = False) -> tuple[DataFrame, str]:
     """The rows of df as a table of their own in the shared folder, and its path.
 
     Unlike a checkpoint it brings no constraints along, which grow without bound when one table is made from
-    another again and again. The caller drops tables that it no longer needs.
+    another again and again. The caller drops tables that it no longer needs. Shuffle files that led to the table
+    go once the driver's garbage collector has found them unused, which it is asked for here.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -193,3 +199,21 @@ def adam(gradient, weights: np.ndarray, steps: int, rate: float) -> np.ndarray:
         v += 0.001 * (g * g - v)
         weights = weights - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return weights
+
+
+def with_score(docs: DataFrame, scores) -> DataFrame:
+    """docs with a column score, in one pass; scores(bytes, offsets) gives those of a run of texts.
+
+    A column of docs that is called score already is replaced.
+    """
+    names = [c for c in docs.columns if c != "score"]
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [scores(buf, offsets) for _, buf, offsets in text_buffers(batch.column(at))]
+            values = np.concatenate(parts) if parts else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, "score"])
+
+    rows = docs.select(*names)
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("score", DoubleType())]))

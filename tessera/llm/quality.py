@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import adam, labelled_sample, text_buffers, word_hashes
+from tessera.llm.common import adam, labelled_sample, text_buffers, with_score, word_hashes
 
 #: Labelled documents of each class that the model is fitted on at most.
 PER_CLASS = 2000
@@ -176,3 +176,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(value), pa.array(count, pa.int32()), pa.array(best, pa.int32())], ["doc_id", "score", "passages", "best_passage"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+
+
+def annotated(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """docs with their columns and score."""
+    return with_score(docs, lambda buf, offsets: model.scores(*passages(buf, offsets), len(offsets) - 1)[0])

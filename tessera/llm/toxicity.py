@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import adam, labelled_sample, text_buffers, word_hashes
+from tessera.llm.common import adam, labelled_sample, text_buffers, with_score, word_hashes
 
 #: Labelled documents of each class that the model is fitted on at most.
 PER_CLASS = 3000
@@ -151,3 +151,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(total), pa.array(bad, kind)], ["doc_id", "score", "offending"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED)
+
+
+def annotated(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """docs with their columns and score."""
+    return with_score(docs, model.scores)
