@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that are gathered before their new words are replayed together.
-BATCH_CHARS = 12_000_000
-#: Distinct chunks whose ids a worker remembers; beyond it the memory is emptied.
-CACHED = 300_000
+BATCH_CHARS = 4_000_000
+#: Distinct chunks whose ids a worker remembers; beyond it those go that the last batches did not have.
+CACHED = 150_000
 _NONE = np.int32(2**31 - 1)
 _WINDOW = 1024
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -193,40 +193,56 @@ def text_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     import regex
 
     replay, fine = _replay(path), regex.compile(pattern)
-    known: dict[str, bytes] = {}
+    recent: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def chunks(text: str) -> list[str]:
         return fine.findall(text) if _ODD_SPACE.search(text) else _COARSE.findall(text)
 
     def encode(texts: list[str]) -> list[bytes]:
-        new: set[str] = set()  # texts are cut twice, since the chunks of a whole batch would take much more memory
+        nonlocal recent, older
+        seen: set[str] = set()  # texts are cut twice, since the chunks of a whole batch would take much more memory
         for text in texts:
-            new.update(c for c in chunks(text) if c not in known)
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            for text in texts:
-                new.update(chunks(text))
-        words = list({w for c in new for w in fine.findall(c)})
+            seen.update(chunks(text))
+        if len(recent) > CACHED:
+            recent, older = {}, recent
+        seen.difference_update(recent)
+        recent.update((c, older[c]) for c in seen if c in older)
+        seen.difference_update(older)
+        words = list({w for c in seen for w in fine.findall(c)})
         ids = dict(zip(words, replay.encode([w.encode() for w in words]), strict=True))
-        for chunk in new:
-            known[chunk] = b"".join([ids[w] for w in fine.findall(chunk)])
-        return [b"".join([known[c] for c in chunks(text)]) for text in texts]
+        for chunk in seen:
+            recent[chunk] = b"".join([ids[w] for w in fine.findall(chunk)])
+        return [b"".join([recent[c] for c in chunks(text)]) for text in texts]
 
     return encode
 
 
-def bpe_encode(docs: DataFrame, ranks: str, pattern: str, batch_chars: int = BATCH_CHARS) -> DataFrame:
+@lru_cache(maxsize=2)
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def _decoded(ids: pa.Array, token: dict[int, bytes]) -> pa.Array:
+    return pa.array([b"".join([token[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()]) for x in ids], pa.binary())
+
+
+def bpe_encode(docs: DataFrame, ranks: str, pattern: str, batch_chars: int = BATCH_CHARS, decode: bool = False) -> DataFrame:
     """doc_id and ids, the little-endian unsigned 32-bit ids of the whole text, for every row of docs (doc_id, text).
 
     Null or empty texts have no ids. Rows are taken in runs of about `batch_chars` characters, which bounds memory.
+    With decode there is also decoded, as of bpe_decode, made from the ids by the same worker.
     """
+    schema = "doc_id long, ids binary" + ", decoded binary" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = text_encoder(ranks, pattern)
         keys, texts, chars = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(encode(texts), pa.binary())], ["doc_id", "ids"])
+            ids = pa.array(encode(texts), pa.binary())
+            columns = [pa.array(keys, pa.int64()), ids] + [_decoded(ids, _tokens(ranks))] * decode
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -239,16 +255,14 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, batch_chars: int = BAT
         if keys:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def bpe_decode(encoded: DataFrame, ranks: str) -> DataFrame:
     """Adds decoded, the bytes that the ids stand for, to rows of doc_id and ids. Unknown ids raise an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: value for value, rank in _replay(ranks).ranks.items()}
         for batch in batches:
-            texts = [b"".join([token[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()]) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _decoded(batch.column(1), _tokens(ranks))], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -35,4 +35,6 @@ def test_round_trip(docs_of):
     for i, t in enumerate(texts):
         assert bytes(rows[i]["ids"]) == _ids(t or "")
         assert bytes(rows[i]["decoded"]) == (t or "").encode()
+    both = bpe_encode(docs_of(texts), PATH, public_tokenizers.PATTERN, decode=True).collect()
+    assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in both} == {i: (r["ids"], r["decoded"]) for i, r in rows.items()}
     assert bpe_encode(docs_of(["x"]).where("false"), PATH, public_tokenizers.PATTERN).count() == 0
