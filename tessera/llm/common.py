@@ -116,7 +116,7 @@ def word_hashes(buf: np.ndarray, lower: bool = True, between: np.ndarray = _SPAC
             back = _power(_INVERSE, len(piece))[s]
             h = mix((sums[e] - sums[s]) * back + (e - s).astype(_U))
             if prefixes:
-                cut = [np.where(e - s > k, mix((sums[np.minimum(e, s + k)] - sums[s]) * back + _U(k) * _U(_BASE)), _U(0)) for k in prefixes]
+                cut = [np.where(e - s > k, mix((sums[np.minimum(e, s + k)] - sums[s]) * back + _U(k * _BASE % 2**64)), _U(0)) for k in prefixes]
                 h = np.stack([h, *cut])
             hashes.append(h)
             starts.append(s + at)

@@ -227,22 +227,22 @@ def training_page(r: random.Random) -> list[tuple[str, int]]:
     def inside(n: int) -> None:
         for _ in range(n):
             x = r.random()
-            if x < 0.7:
+            if x < 0.6:
                 text = said(1, 70) + r.choice([".", ".", ".", "!", "", ":"])
                 if r.random() < 0.2:
                     text = f"<a href=#>{said(1, 4)}</a> {text}"
                 parts.append((r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<div>{}</div>", "<p><em>{}<br></p>"]).format(text), 1))
-            elif x < 0.8:
+            elif x < 0.68:
                 parts.append((f"<h{r.randint(2, 4)}>{said(1, 7)}</h2>", 1))
-            elif x < 0.88:
+            elif x < 0.74:
                 kind = r.choice(["ul", "ol"])
                 parts.append((f"<{kind}>" + "".join(f"<li>{said(1, 20)}{r.choice(['.', ''])}" for _ in range(r.randint(2, 5))) + f"</{kind}>", 1))
-            elif x < 0.92:
+            elif x < 0.78:
                 parts.append((f"<blockquote><p>{said(5, 40)}.</p></blockquote>", 1))
-            elif x < 0.95:
+            elif x < 0.8:
                 parts.append((f"<table><tr><td>{said(1, 5)}</td><td>{said(1, 5)}</td></tr></table><pre>{said(3, 9)}</pre>", 1))
             else:
-                other(r.choice(["advert", "share", "sidebar", "notice"]))
+                other(r.choice(["advert", "advert", "share", "sidebar", "notice", "comments", "form", "menu"]))
 
     parts.append(("<html><head><title>x</title><style>p{}</style></head><body>", 0))
     if r.random() < 0.3:
@@ -279,7 +279,7 @@ def labelled(parts: list[tuple[str, int]]) -> tuple[list[Block], list[int]]:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = 600, steps: int = 150, seed: int = 5) -> Chain:
+def train(pages: int = 600, steps: int = 250, seed: int = 5) -> Chain:
     """Fits the chain on so many generated pages: log-likelihood by forward and backward sums, all pages at once."""
     r = random.Random(seed)
     data = [labelled(training_page(r)) for _ in range(pages)]
@@ -317,7 +317,7 @@ def train(pages: int = 600, steps: int = 150, seed: int = 5) -> Chain:
         share = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
         pair = np.exp(ahead[:, :-1, :, None] + step + (score + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
         g = np.concatenate([np.bincount(feature, share[:, :, 1].reshape(-1)[place], k) - gold, share[:, 0].sum(0) - first, pair.sum((0, 1)).reshape(-1) - moved])
-        return g / len(data) + 1e-3 * w
+        return g / len(data) + 2e-4 * w
 
     w = adam(gradient, np.zeros(k + 6), steps, 0.1)
     return Chain({f: float(w[i]) for f, i in names.items()}, tuple(w[k : k + 2]), tuple(map(tuple, w[k + 2 :].reshape(2, 2).tolist())))

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learnt from document labels.
 
-A sentence's score is the logistic function of a bias and the weights of its words and of their
-first bytes (inflected forms share them). A document is toxic unless every sentence is clean:
+A sentence's score is the logistic function of a bias and the weights of its distinct words and of
+their first bytes (inflected forms share them). A document is toxic unless every sentence is clean:
 1 - product(1 - sentence score). The weights follow the gradient of the documents' log-likelihood
 through that product, so each toxic document picks the sentences that explain it.
 """
@@ -22,10 +22,12 @@ from tessera.llm.common import adam, labelled_sample, text_buffers, with_score,
 PER_CLASS = 3000
 BITS = 18
 #: Features that enter the model: the most telling ones of at least so many documents.
-FEATURES, MIN_DOCUMENTS = 3000, 3
+FEATURES, MIN_DOCUMENTS = 3000, 4
 PREFIXES = (4, 5, 6)
+#: What all negative documents together count for, against all positive ones.
+NEGATIVE = 4.0
 #: A sentence at least so likely to be toxic is an offending one.
-OFFENDING = 0.5
+OFFENDING = 0.3
 
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _STOP = np.zeros(256, bool)
@@ -51,7 +53,9 @@ class ToxicityModel:
             return none, none, none, np.empty(0)
         number = np.cumsum(_STOP[buf])[starts]  # texts are separated by line feeds
         first = np.flatnonzero(np.diff(number, prepend=-1))
-        logit = np.add.reduceat(self.weights[feature].sum(axis=0), first) + self.bias
+        row, at = np.nonzero(self.weights[feature])
+        seen = np.unique(number[at] << BITS | feature[row, at])  # a word that a sentence repeats counts once
+        logit = np.bincount(np.searchsorted(number[first], seen >> BITS), self.weights[seen & ((1 << BITS) - 1)], len(first)) + self.bias
         last = np.concatenate([first[1:], [len(starts)]]) - 1
         return np.searchsorted(offsets, starts[first], side="right") - 1, starts[first], ends[last], logit
 
@@ -97,8 +101,9 @@ def fit(rows: list[tuple[str, int]], steps: int = 300) -> ToxicityModel:
     features, sentences, every, owners = [], [], [], []
     for doc, number, feature in occurrences():
         kept = place[feature] >= 0
-        features.append(place[feature[kept]])
-        sentences.append(number[kept])
+        seen = np.unique(number[kept] << BITS | place[feature[kept]])
+        features.append(seen & (size - 1))
+        sentences.append(seen >> BITS)
         new = np.flatnonzero(np.diff(number, prepend=-1))
         every.append(number[new])
         owners.append(doc[new])
@@ -109,7 +114,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 300) -> ToxicityModel:
     def gradient(w: np.ndarray, _: int) -> np.ndarray:
         z = np.bincount(s, w[f], len(everyone)) + w[-1]
         total = np.bincount(owner, np.logaddexp(0, z), len(labels))
-        outer = np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), 1) / np.where(labels == 1, n1, n0)
+        outer = np.where(labels == 1, -1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), NEGATIVE) / np.where(labels == 1, n1, n0)
         each = outer[owner] / (1 + np.exp(-z))
         g = np.bincount(f, each[s], len(w))
         g[:-1] += 2e-5 * w[:-1]
