@@ -6,9 +6,8 @@
 3. Classes that share a band key are candidates. Each bucket gives a star of links to its least
    member, never all its pairs; a bucket of two keeps its link only if the two signatures agree
    often enough. Large-star and small-star join the stars to candidate groups.
-4. Whatever is linked is inside one candidate group, so each group is confirmed on the full sets:
-   whole if it is small, else as pairs of blocks of bounded size. A task gives one row for each
-   document that it has linked to a smaller one.
+4. Whatever is linked is inside one candidate group, so each group is confirmed on the full sets, in
+   tasks of bounded size. A task gives one row for each document that it has linked to a smaller one.
 5. Components of the confirmed links, spread to all documents of each class.
 """
 
@@ -18,12 +17,11 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, mix, shingle_sets, text_buffers
+from tessera.llm.common import checkpointed, mix, shingle_sets, stored, text_buffers
 from tessera.llm.graph import connected_components
 
 #: Minima in a band, and the chance to miss a pair at the threshold.
@@ -133,21 +131,8 @@ def confirmed(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return _labels(linked)
 
 
-def _confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) that hold the true components of groups (u, component) together."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("u"), blocks).cast("int")
-    # a member of block i takes part in the pairs (i, j) and (j, i) of each j, named by the smaller first
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = (
-        members.select("u", "component", blocks.alias("blocks"), own.alias("own"))
-        .select("u", "component", "own", "blocks", other.alias("other"))
-        .where("blocks = 1 or own <> other")
-        .select("u", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("u"), "text").join(groups.select("u"), "u", "left_semi")
+def _checked(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v) of every document that is linked to a smaller one in its task; placed has u, component, i and j, which name tasks."""
 
     def check(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         ids = rows.column("u").to_numpy()
@@ -163,6 +148,36 @@ def _confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFr
     return placed.join(texts, "u").groupBy("component", "i", "j").applyInArrow(check, "u long, v long")
 
 
+def _confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that hold the true components of groups (u, component) together.
+
+    A group of up to BLOCK documents is one task. A larger one is first cut into blocks, each checked together
+    with the group's least document. What that has not joined to the group's largest part, mostly little, is then
+    checked block by block against all of the group; pairs within the largest part need no check.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("u"), "text").join(groups.select("u"), "u", "left_semi")
+    zero = F.lit(0).alias("j")
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    members = groups.join(sizes, "component").select("u", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = members.where("u <> component").select("u", "component", own.alias("i"), zero)
+    first = first.unionByName(members.where("u = component").select("u", "component", each.alias("i"), zero))
+    links = _checked(first, texts, k, percent)
+    if not sizes.where(F.col("n") > BLOCK).limit(1).count():
+        return links
+    links, _ = stored(links)
+    part = connected_components(links).withColumnRenamed("component", "root")
+    large = members.where("blocks > 1").join(part, "u", "left").select("u", "component", "blocks", F.coalesce("root", "u").alias("root"))
+    parts = large.groupBy("component", "root").agg(F.count("*").alias("m")).groupBy("component")
+    parts = parts.agg(F.max_by("root", "m").alias("main"), (F.sum("m") - F.max("m")).alias("rest")).where("rest > 0")
+    large = large.join(parts.select("component", "main", F.ceil(F.col("rest") / BLOCK).cast("int").alias("pieces")), "component")
+    large, _ = stored(large)
+    rest = large.where("root <> main").select("u", "component", F.pmod(F.xxhash64("u"), F.col("pieces")).cast("int").alias("i"), each.alias("j"))
+    every = large.select("u", "component", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("i"), own.alias("j"))
+    return links.unionByName(_checked(rest.unionByName(every).distinct(), texts, k, percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
