@@ -325,3 +325,36 @@ def top_k_accuracy_score(df: DataFrame, query: str, is_true: str, score: str, k:
     above = F.row_number().over(W.partitionBy(query).orderBy(F.desc(score), F.desc(is_true)))
     rows = df.select(query, F.col(is_true).alias("y"), above.alias("r")).where("y = 1")
     return rows.agg(F.avg((F.col("r") <= k).cast("double")).alias("top_k_accuracy"))
+
+
+# --- clusterings of points: from sums of each cluster ---
+
+
+def _cluster_sums(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """label, n and mean of every cluster; noise (label -1) is left out."""
+    rows = df.where(F.col(label).cast("string") != "-1")
+    return rows.groupBy(label).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)])
+
+
+def calinski_harabasz_score(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Spread between clusters over spread within, each over its degrees of freedom; 1 without spread within."""
+    k = F.countDistinct(label).cast("double").alias("k")
+    whole = df.agg(F.count("*").cast("double").alias("n"), k, *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    own = df.groupBy(label).agg(F.count("*").alias("c"), *[F.var_pop(c).alias(f"w{i}") for i, c in enumerate(columns)])
+    within = own.agg(F.sum(sum((F.col("c") * F.col(f"w{i}") for i in range(len(columns))), F.lit(0.0))).alias("within"))
+    total = sum((F.col("n") * F.col(f"v{i}") for i in range(len(columns))), F.lit(0.0))
+    score = F.try_divide((total - F.col("within")) * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
+    return whole.crossJoin(F.broadcast(within)).select(F.coalesce(score, F.lit(1.0)).alias("calinski_harabasz"))
+
+
+def davies_bouldin_score(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Mean over clusters of the worst (spread + spread) / distance of centres; the clusters are joined with each other."""
+    means = _cluster_sums(df, columns, label)
+    apart = lambda a, b: F.sqrt(sum(((a(i) - b(i)) ** 2 for i in range(len(columns))), F.lit(0.0)))
+    away = apart(lambda i: F.col(columns[i]), lambda i: F.col(f"m{i}"))
+    spread = df.join(means.withColumnRenamed(label, "__l"), F.col(label) == F.col("__l")).groupBy("__l").agg(F.avg(away).alias("s"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(len(columns))])
+    a = spread.select(F.col("__l").alias("la"), F.col("s").alias("sa"), *[F.col(f"m{i}").alias(f"a{i}") for i in range(len(columns))])
+    b = spread.select(F.col("__l").alias("lb"), F.col("s").alias("sb"), *[F.col(f"m{i}").alias(f"b{i}") for i in range(len(columns))])
+    ratio = F.coalesce(F.try_divide(F.col("sa") + F.col("sb"), apart(lambda i: F.col(f"a{i}"), lambda i: F.col(f"b{i}"))), F.lit(0.0))
+    worst = a.join(b, F.col("la") != F.col("lb")).groupBy("la").agg(F.max(ratio).alias("worst"))
+    return worst.agg(F.avg("worst").alias("davies_bouldin"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from tessera.operators import bayes, decomposition, dummy, linear, metrics, pairwise, preprocess, selection, splits, text
+from tessera.operators import bayes, decomposition, dummy, linear, metrics, pairwise, preprocess, quantile, selection, splits, text
 from tessera.operators.base import Estimator
 from tessera.streaming.incremental import windowed_counts
 
@@ -439,6 +439,61 @@ register("nearest_neighbors_k3", f"WITH {_MEANS} SELECT a, b, round(d, 5) AS dis
     lambda spark, sf_dir: pairwise.nearest(*_vectors(spark, sf_dir), "key", "v", 3)
 )
 
+# --- row-aligned distances: an embedding and the mean of its label ---
+
+
+def _aligned(spark, sf_dir):
+    rows, means = _vectors(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "label")
+    means = means.select(F.col("key").alias("label"), F.col("v").alias("m"))
+    return rows.join(labels, "key").join(means, "label").select("key", "v", "m")
+
+
+for _name in ("euclidean", "manhattan", "cosine", "chebyshev"):
+    register(f"paired_{_name}_distances", f"WITH {_MEANS} SELECT a AS key, round({_pair_sql[_name][0]}, 5) + 0.0 AS {_name} FROM e JOIN embeddings x ON x.vec_id = e.a JOIN m ON m.b = x.label", 5)(
+        lambda spark, sf_dir, n=_name: pairwise.paired(_aligned(spark, sf_dir), "v", "m", n).select("key", n)
+    )
+register("cosine_similarity", f"WITH {_MEANS} SELECT a, b, round(list_cosine_similarity(va, vb), 5) + 0.0 AS cosine FROM e, m", 5)(lambda spark, sf_dir: pairwise.pairwise(*_vectors(spark, sf_dir), "key", "v", "cosine", True))
+register("sqeuclidean_distances", f"WITH {_MEANS} SELECT a, b, round(list_distance(va, vb) ** 2, 4) + 0.0 AS sqeuclidean FROM e, m", 4)(lambda spark, sf_dir: pairwise.pairwise(*_vectors(spark, sf_dir), "key", "v", "sqeuclidean"))
+
+_PAIR = "SELECT o_orderkey, o_totalprice / 500000.0 AS p, (o_custkey % 100) / 100.0 AS q FROM orders"
+
+
+def _angles(spark, sf_dir):
+    p, q = F.col("o_totalprice") / 500000.0, F.pmod("o_custkey", F.lit(100)) / 100.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array(p, q).alias("v"), F.array(q, p).alias("w"))
+
+
+register("haversine_distances", f"WITH t AS ({_PAIR}) SELECT o_orderkey, round(2 * asin(sqrt(sin((p - q) / 2) ** 2 + cos(p) * cos(q) * sin((q - p) / 2) ** 2)), 6) AS haversine FROM t")(lambda spark, sf_dir: pairwise.paired(_angles(spark, sf_dir), "v", "w", "haversine").select("o_orderkey", "haversine"))
+register("additive_chi2_kernel", f"WITH t AS ({_PAIR}) SELECT o_orderkey, round(-2 * coalesce((p - q) ** 2 / nullif(p + q, 0), 0), 6) + 0.0 AS additive_chi2 FROM t")(lambda spark, sf_dir: pairwise.paired(_angles(spark, sf_dir), "v", "w", "additive_chi2").select("o_orderkey", "additive_chi2"))
+register("chi2_kernel", f"WITH t AS ({_PAIR}) SELECT o_orderkey, round(exp(-2 * coalesce((p - q) ** 2 / nullif(p + q, 0), 0)), 6) + 0.0 AS chi2 FROM t")(lambda spark, sf_dir: pairwise.paired(_angles(spark, sf_dir), "v", "w", "chi2").select("o_orderkey", "chi2"))
+
+# --- spread of clusters: lineitem by return flag ---
+
+_XC = "SELECT l_returnflag AS k, l_quantity AS x, l_discount AS y FROM lineitem"
+register(
+    "calinski_harabasz_score",
+    f"""WITH t AS ({_XC}), w AS (SELECT sum(c * v) AS within, count(*) AS k FROM (SELECT count(*) AS c, var_pop(x) + var_pop(y) AS v FROM t GROUP BY k)),
+        a AS (SELECT count(*) AS n, count(*) * (var_pop(x) + var_pop(y)) AS total FROM t) SELECT round((total - within) / (k - 1) / (within / (n - k)), 4) AS calinski_harabasz FROM a, w""",
+    4,
+)(lambda spark, sf_dir: metrics.calinski_harabasz_score(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag"))
+register(
+    "davies_bouldin_score",
+    f"""WITH t AS ({_XC}), m AS (SELECT k, avg(x) AS mx, avg(y) AS my FROM t GROUP BY 1), s AS (SELECT k, mx, my, avg(sqrt((x - mx) ** 2 + (y - my) ** 2)) AS s FROM t JOIN m USING (k) GROUP BY 1, 2, 3)
+        SELECT round(avg(worst), 2) AS davies_bouldin FROM (SELECT a.k, max((a.s + b.s) / sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2)) AS worst FROM s a JOIN s b ON a.k <> b.k GROUP BY 1)""",
+    2,
+)(lambda spark, sf_dir: metrics.davies_bouldin_score(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag"))
+
+# --- maps by distribution ---
+
+register("power_transformer", None)(_applied(quantile.PowerTransformer(["l_quantity", "l_extendedprice"]), "", LINE, ["l_quantity", "l_extendedprice"], "lineitem"))
+_QUANTILES = "(SELECT quantile_cont(l_extendedprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM lineitem)"
+register(
+    "quantile_transformer",
+    f"""SELECT l_orderkey, l_linenumber, round(CASE WHEN x <= q[1] THEN 0 WHEN x >= q[5] THEN 1 WHEN x < q[2] THEN (x - q[1]) / (q[2] - q[1]) / 4 WHEN x < q[3] THEN 0.25 + (x - q[2]) / (q[3] - q[2]) / 4
+        WHEN x < q[4] THEN 0.5 + (x - q[3]) / (q[4] - q[3]) / 4 ELSE 0.75 + (x - q[4]) / (q[5] - q[4]) / 4 END, 6) AS l_extendedprice FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS x FROM lineitem), {_QUANTILES}""",
+)(_applied(quantile.QuantileTransformer(["l_extendedprice"], 5), "", LINE, ["l_extendedprice"], "lineitem"))
+
 # --- splits of orders ---
 
 _N = "(SELECT count(*) FROM orders)"

@@ -3,7 +3,7 @@ import pytest
 
 from tessera.errors import InsufficientSamples, InvalidParameter, NotFinite, ShapeMismatch
 from tessera.functions.special import beta_regularised, gamma_upper
-from tessera.operators import bayes, decomposition, linear, preprocess, selection, splits
+from tessera.operators import bayes, decomposition, linear, preprocess, quantile, selection, splits
 from tessera.operators.base import Pipeline
 from tessera.sources import generators, svmlight
 from tessera.streaming.incremental import StreamingMoments
@@ -68,6 +68,20 @@ def test_partial_fits_merge(points):
     assert [r["prediction"] for r in whole] == [r["prediction"] for r in merged]
 
 
+def test_power_transformer_finds_the_likeliest_power(spark):
+    x = np.random.default_rng(3).gamma(2.0, 2.0, 400) - 1
+    fitted = quantile.PowerTransformer(["v"])
+    out = np.array([r[0] for r in fitted.fit_transform(spark.createDataFrame([(float(v),) for v in x], "v double")).collect()])
+    assert np.isclose(out.mean(), 0, atol=1e-9) and np.isclose(out.std(), 1)
+
+    def likelihood(p):
+        y = np.where(x >= 0, ((x + 1) ** p - 1) / p, -((1 - x) ** (2 - p) - 1) / (2 - p))
+        return -len(x) / 2 * np.log(y.var()) + (p - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    best = max(np.arange(-2.995, 5, 0.01), key=likelihood)
+    assert abs(fitted.powers["v"] - best) < 0.01
+
+
 def test_errors(spark):
     df = spark.createDataFrame([(1.0, float("inf"))], "a double, b double")
     with pytest.raises(NotFinite):
