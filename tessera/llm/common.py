@@ -51,7 +51,7 @@ def stored(df: DataFrame, release: bool = False) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if release:
         gc.collect()
         spark._jvm.System.gc()
