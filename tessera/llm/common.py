@@ -128,7 +128,7 @@ def word_hashes(buf: np.ndarray, lower: bool = True, between: np.ndarray = _SPAC
     return np.concatenate(hashes, axis=-1), np.concatenate(starts), np.concatenate(ends)
 
 
-def text_buffers(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_buffers(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes with a line feed after each text, text starts and the end) of runs of a few MB; null is empty."""
     rows, first, size = [], 0, 0
     texts = column.to_pylist() if pa.types.is_dictionary(column.type) else column

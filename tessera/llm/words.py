@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of the cache from a chunk of text to its ids; it is emptied beyond this number, which bounds a worker's memory.
-CACHED = 600_000
+CACHED = 350_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 _MARK = "\x01"
