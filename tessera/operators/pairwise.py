@@ -1,7 +1,8 @@
 """Distances and kernels between rows that hold arrays of doubles.
 
-Row-aligned measures are plain expressions. Measures between all rows of two tables need the second one, the set of
-queries or centres, to be small: it is checked against `most_rows` and broadcast in one block.
+Row-aligned measures are plain expressions. Measures between all rows of two tables broadcast the second one if it has at
+most `most_rows` rows. A larger one is dealt into blocks of about that many rows, and every row of the first meets each block;
+the nearest rows are kept per block and merged by an aggregate.
 """
 
 from __future__ import annotations
@@ -69,22 +70,46 @@ def paired(df: DataFrame, a: str, b: str, measure: str, **options) -> DataFrame:
     return df.withColumn(measure, f(F.col(a), F.col(b)))
 
 
+def _measure(measure: str, kernel: bool, options: dict):
+    return kernels(**options)[measure] if kernel else DISTANCES[measure]
+
+
+def _met(left: DataFrame, right: DataFrame, key: str, vector: str, most_rows: int) -> DataFrame:
+    """a, va, b, vb and block of every row of left with every row of right, which is broadcast or dealt into blocks."""
+    if most_rows < 1:
+        raise InvalidParameter("most_rows must be at least 1")
+    first, second = left.select(F.col(key).alias("a"), F.col(vector).alias("va")), right.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
+    if right.limit(most_rows + 1).count() <= most_rows:
+        return first.crossJoin(F.broadcast(second)).withColumn("block", F.lit(0))
+    blocks = -(-right.count() // most_rows)
+    # rows of the first table are dealt as well, so that a task holds a part of either table
+    parts = max(1, -(-left.count() // most_rows))
+    first = first.withColumns({"part": F.pmod(F.xxhash64("a", "va"), F.lit(parts)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    second = second.withColumns({"block": F.pmod(F.xxhash64("b", "vb"), F.lit(blocks)).cast("int"), "part": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))})
+    return first.join(second, ["block", "part"]).select("a", "va", "b", "vb", "block")
+
+
 def pairwise(left: DataFrame, right: DataFrame, key: str, vector: str, measure: str = "euclidean", kernel: bool = False, most_rows: int = 10_000, **options) -> DataFrame:
-    """a, b and the measure of every row of left with every row of right, which holds at most `most_rows` rows."""
-    n = right.limit(most_rows + 1).count()
-    if n > most_rows:
-        raise InvalidParameter(f"the second table has more than {most_rows} rows")
-    f = kernels(**options)[measure] if kernel else DISTANCES[measure]
-    small = F.broadcast(right.select(F.col(key).alias("b"), F.col(vector).alias("vb")))
-    return left.select(F.col(key).alias("a"), F.col(vector).alias("va")).crossJoin(small).select("a", "b", f(F.col("va"), F.col("vb")).alias(measure))
-
-
-def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, measure: str = "euclidean", others_only: bool = False, **options) -> DataFrame:
-    """The k nearest rows of right for each row of left: a, b, distance and rank; ties go to the lower b."""
-    rows = pairwise(left, right, key, vector, measure, **options)
+    """a, b and the measure of every row of left with every row of right, in blocks if right has more than `most_rows` rows."""
+    f = _measure(measure, kernel, options)
+    return _met(left, right, key, vector, most_rows).select("a", "b", f(F.col("va"), F.col("vb")).alias(measure))
+
+
+def _least(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k least of best (arrays of distance and b) of each group."""
+    return rows.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, vector: str, k: int = 1, measure: str = "euclidean", others_only: bool = False, most_rows: int = 10_000, **options) -> DataFrame:
+    """The k nearest rows of right for each row of left: a, b, distance and rank; ties go to the lower b.
+
+    right may have any number of rows; see `pairwise`.
+    """
+    f = _measure(measure, False, options)
+    rows = _met(left, right, key, vector, most_rows)
     rows = rows.where("a <> b") if others_only else rows
-    best = F.slice(F.sort_array(F.collect_list(F.struct(F.col(measure).alias("distance"), "b"))), 1, k)
-    found = rows.groupBy("a").agg(best.alias("best")).select("a", F.posexplode("best").alias("rank", "x"))
+    rows = rows.select("a", "block", F.array(F.struct(f(F.col("va"), F.col("vb")).alias("distance"), "b")).alias("best"))
+    found = _least(_least(rows, ["a", "block"], k), ["a"], k).select("a", F.posexplode("best").alias("rank", "x"))
     return found.select("a", "x.b", "x.distance", "rank")
 
 

@@ -439,6 +439,22 @@ register("nearest_neighbors_k3", f"WITH {_MEANS} SELECT a, b, round(d, 5) AS dis
     lambda spark, sf_dir: pairwise.nearest(*_vectors(spark, sf_dir), "key", "v", 3)
 )
 
+
+# --- neighbours among all embeddings of those whose vec_id is divisible by 100 ---
+
+
+def _neighbors_among_embeddings(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast(ArrayType(DoubleType())).alias("v"))
+    return pairwise.nearest(rows.where("key % 100 = 0"), rows, "key", "v", 3)
+
+
+register(
+    "nearest_neighbors_k3_embeddings",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_distance(x.v, y.v) AS d FROM e x, e y WHERE x.vec_id % 100 = 0)
+        SELECT a, b, round(d, 5) AS distance, (r - 1)::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM p) WHERE r <= 3""",
+    5,
+)(_neighbors_among_embeddings)
+
 # --- row-aligned distances: an embedding and the mean of its label ---
 
 
