@@ -25,7 +25,15 @@ from tessera.llm.common import adam
 
 # Fixed values of HTML: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg math object canvas audio video select datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+# Elements whose text is none of the page's. A start tag of BREAKOUT ends svg and math, but not within INTEGRATION.
+HIDDEN = frozenset("template svg math object canvas audio video select datalist".split())
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+# A start tag of BLOCK ends an open paragraph from within PASSING elements too.
+PASSING = frozenset("audio video canvas".split())
+BLOCK = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table ul".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 SCOPE = frozenset("table td th caption button object html body".split())
@@ -44,11 +52,11 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in its order; character references are decoded, white space is one space."""
+    """The leaf blocks of a page in its order, without text within HIDDEN elements; character references are decoded, white space is one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked = whole = links = at = 0
+    linked = whole = links = hidden = at = 0
     path: tuple = ()
 
     def flush() -> None:
@@ -60,18 +68,31 @@ def blocks(html: str) -> list[Block]:
             parts, linked, whole = [], 0, 0
 
     def close(depth: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         while len(stack) > depth:
             tag, _ = stack.pop()
             if tag == "a":
                 links -= 1
-            elif tag not in INLINE:
+            elif tag in HIDDEN:
+                hidden -= 1
+            elif tag not in INLINE and not hidden:
                 flush()
 
+    def foreign() -> int:
+        """The depth of the outermost svg or math that the next tag is in, -1 if it is in none or in HTML within it."""
+        found = -1
+        for depth in range(len(stack) - 1, -1, -1):
+            held = stack[depth][0]
+            if held in FOREIGN:
+                found = depth
+            elif held in INTEGRATION or held in HIDDEN:
+                break
+        return found
+
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else len(html)]
-        if text:
+        if text and not hidden:
             size = len(text.strip())
             if size:
                 if not whole:
@@ -88,25 +109,36 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = name.lower()
         if m[1] or m[4]:
+            inside = hidden
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     close(depth)
                     break
-            if tag not in INLINE:
+            if tag not in INLINE and not inside:
                 flush()
             continue
+        attributes = m[3] or m[6] or ""
+        outer = foreign() if hidden else -1
+        if outer >= 0 and tag in BREAKOUT:
+            close(outer)
+            outer = -1
+        if attributes.rstrip().endswith("/") and (outer >= 0 or tag in FOREIGN):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
         if tag in VOID:
+            if hidden:
+                continue
             if tag == "hr":
                 flush()
             elif parts:
                 parts.append(" ")
             continue
-        if tag not in INLINE:
-            flush()
+        if tag not in INLINE and tag not in HIDDEN:
+            if not hidden:
+                flush()
             if stack and stack[-1][0] == "head":
                 close(len(stack) - 1)
             own, within = CLOSES.get(tag, ("", ()))
@@ -116,15 +148,15 @@ def blocks(html: str) -> list[Block]:
                     close(depth)
                     if held != "p":
                         break
-                elif held in within or held in SCOPE:
+                elif held in within or held in SCOPE or held in HIDDEN and not (held in PASSING and tag in BLOCK):
                     break
-        attributes = m[3] or m[6] or ""
         words: tuple[str, ...] = ()
         if "=" in attributes:
             words = tuple(dict.fromkeys(w for v in _NAMED.findall(attributes) for w in _WORD.findall((v[0] or v[1] or v[2]).lower())))
         if not attributes.rstrip().endswith("/") or tag not in INLINE:
             stack.append((tag, words))
             links += tag == "a"
+            hidden += tag in HIDDEN
     flush()
     return out
 
