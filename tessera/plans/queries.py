@@ -63,7 +63,7 @@ _per_column = {
     "normalizer_l2": (preprocess.Normalizer(FEATURES), "{c} / sqrt(" + " + ".join(f"{c} * {c}" for c in FEATURES) + ")"),
     "normalizer_l1": (preprocess.Normalizer(FEATURES, "l1"), "{c} / (" + " + ".join(f"abs({c})" for c in FEATURES) + ")"),
     "normalizer_max": (preprocess.Normalizer(FEATURES, "max"), "{c} / greatest(" + ", ".join(f"abs({c})" for c in FEATURES) + ")"),
-    "binarizer": (preprocess.Binarizer(FEATURES, 0.05), "CASE WHEN {c} > 0.05 THEN 1.0 ELSE 0.0 END"),
+    "binarizer": (preprocess.Binarizer(FEATURES, 0.05), "CASE WHEN {c} > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"),
     "function_transformer": (preprocess.FunctionTransformer(FEATURES, F.log1p), "ln(1 + {c})"),
 }
 for _name, (_op, _sql) in _per_column.items():
@@ -541,8 +541,8 @@ _XY = "SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, count(*) AS n,
 _one_x = {
     "linear_regression": (linear.LinearRegression(["l_quantity"], "l_extendedprice"), "sxy / sxx"),
     "ridge": (linear.Ridge(["l_quantity"], "l_extendedprice", alpha=1000.0), "n * sxy / (n * sxx + 1000)"),
-    "lasso": (linear.Lasso(["l_quantity"], "l_extendedprice", alpha=1000.0), "greatest(sxy - 1000, 0) / sxx"),
-    "elastic_net": (linear.ElasticNet(["l_quantity"], "l_extendedprice", alpha=100.0, l1_ratio=0.5), "greatest(sxy - 50, 0) / (sxx + 50)"),
+    "lasso": (linear.Lasso(["l_quantity"], "l_extendedprice", alpha=1000.0), "sign(sxy) * greatest(abs(sxy) - 1000, 0) / sxx"),
+    "elastic_net": (linear.ElasticNet(["l_quantity"], "l_extendedprice", alpha=100.0, l1_ratio=0.5), "sign(sxy) * greatest(abs(sxy) - 50, 0) / (sxx + 50)"),
     "orthogonal_matching_pursuit": (linear.OrthogonalMatchingPursuit(["l_quantity"], "l_extendedprice"), "sxy / sxx"),
 }
 for _name, (_op, _b) in _one_x.items():
