@@ -28,6 +28,8 @@ from tessera.llm.graph import connected_components
 ROWS, MISS = 6, 1e-6
 #: Documents in a block of a candidate group.
 BLOCK = 256
+#: So many components of more than BLOCK documents are broadcast at most, two numbers each; more are joined by a shuffle.
+BROADCAST_LARGE = 200_000
 #: Standard deviations that a signature may fall short of the threshold.
 SLACK = 5.0
 
@@ -158,13 +160,16 @@ def _confirm(docs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("u"), "text").join(groups.select("u"), "u", "left_semi")
     zero = F.lit(0).alias("j")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component").select("u", "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large, _ = stored(sizes.where(F.col("n") > BLOCK).select("component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    found = large.count()  # the rows of a large component stay where they are if its size comes to them
+    members = groups.join(F.broadcast(large) if found <= BROADCAST_LARGE else large, "component", "left")
+    members = members.select("u", "component", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first = members.where("u <> component").select("u", "component", own.alias("i"), zero)
     first = first.unionByName(members.where("u = component").select("u", "component", each.alias("i"), zero))
     links = _checked(first, texts, k, percent)
-    if not sizes.where(F.col("n") > BLOCK).limit(1).count():
+    if not found:
         return links
     links, _ = stored(links)
     part = connected_components(links).withColumnRenamed("component", "root")
