@@ -87,19 +87,34 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer)
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc, text in zip(ids, batch.column(1), strict=True):
-                data = encode(text.as_py() or "") + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            out = ([], [], [], [], [])
+            for first, texts in _runs(batch.column(1)):
+                for doc, data in zip(batch.column(0).slice(first, len(texts)).to_pylist(), encode(texts), strict=True):
+                    data += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
+def _runs(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of a few MB; null is empty."""
+    texts, first, size = [], 0, 0
+    for i, value in enumerate(column):
+        text = value.as_py() or ""
+        if texts and size + len(text) > most:
+            yield first, texts
+            texts, first, size = [], i, 0
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield first, texts
+
+
 def _dealing(k: int, parts: int):
     """Adds the partition that a piece goes to: within each task, in turn by length."""
 
@@ -146,7 +161,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
         parts = max(1, -(-n // per_partition))
         last = parts == 1 or k == rounds - 1
 
-        placed = waiting.mapInArrow(_dealing(k, parts), f"{PIECES}, part int").groupBy("part").applyInPandas(_placing(k, last, capacity), PACKED)
+        placed = waiting.mapInArrow(_dealing(k, parts), f"{PIECES}, part int").repartitionByRange(parts, "part").groupBy("part").applyInPandas(_placing(k, last, capacity), PACKED)
         if last:
             done.append(placed)
             break

@@ -6,22 +6,27 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Entries of the cache from a chunk of text to its ids; it is emptied beyond this number, which bounds a worker's memory.
-CACHED = 350_000
+#: Entries of the cache from a chunk of text to its ids. Beyond this number it becomes the older of two generations, whose
+#: entries are taken over as they are met again and otherwise go; this bounds a worker's memory.
+CACHED = 400_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 _MARK = "\x01"
+#: Marks that end chunks; whether words before them can be encoded alone is tried on some.
+_ENDS = ".,;:!?"
+_PROBES, _MARKS = ("word", "a", "entailment", "caf\u00e9", "stra\u00dfe", "\u4e2d\u6587", "\u0434\u043e\u043c"), (".", ",", ";", ":", "!", "?", "...", "?!", ".,")
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> Callable[[str], bytes]:
-    """Text to its ids as little-endian unsigned 32-bit integers.
+def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to their ids as little-endian unsigned 32-bit integers.
 
     The tokenizer turns white space into one space and drops it before it forms words, so chunks
-    between white space can be encoded alone; each distinct chunk is encoded once while it is cached.
+    between white space can be encoded alone; each distinct chunk of the texts is encoded once while it is cached.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import regex
@@ -31,6 +36,7 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
     tokenizer.encode_special_tokens = True
     space = regex.compile(r"\s+")
     known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def ids(text: str) -> np.ndarray:
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -39,24 +45,51 @@ def word_tokenizer(path: str) -> Callable[[str], bytes]:
     if len(mark) != 1:
         raise ValueError("the tokenizer has no single token for the mark between chunks")
 
-    def learn(chunks: list[str]) -> None:
+    def learn(chunks: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         for i in range(0, len(chunks), 4096):
             part = [c for c in chunks[i : i + 4096] if _MARK not in c]
             if part:
-                found = ids(f" {_MARK} ".join(part))
-                cuts = [-1, *np.flatnonzero(found == mark[0]).tolist(), len(found)]
-                data = found.tobytes()
-                known.update(zip(part, [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])], strict=True))
-        known.update((c, ids(c).tobytes()) for c in chunks if _MARK in c)
-
-    def encode(text: str) -> bytes:
-        chunks = space.split(text) if _ODD_SPACE.search(text) else text.split()
-        new = list({c for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > CACHED:
-                known.clear()
-                new = list(set(chunks))
-            learn(new)
-        return b"".join([known[c] for c in chunks])
+                row = ids(f" {_MARK} ".join(part))
+                cuts = [-1, *np.flatnonzero(row == mark[0]).tolist(), len(row)]
+                data = row.tobytes()
+                found.update(zip(part, [data[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:])], strict=True))
+        found.update((c, ids(c).tobytes()) for c in chunks if _MARK in c)
+        return found
+
+    known.update(learn([*_PROBES, *_MARKS]))
+    joins = all(ids(a + b).tobytes() == known[a] + known[b] for a in _PROBES for b in _MARKS)
+    folds = all(ids(a.upper()).tobytes() == known[a] for a in _PROBES if a.isascii())
+
+    def cut(chunk: str) -> tuple[str, ...]:
+        """The word, in lower case if that makes no difference, and the marks behind it, if both can be encoded alone."""
+        word, marks = chunk, ""
+        if joins:
+            word = chunk.rstrip(_ENDS)
+            last = word[-1:].lower()
+            if len(last) == 1 and last.isalpha():
+                marks = chunk[len(word) :]
+            else:
+                word = chunk
+        if folds and word.isascii():
+            word = word.lower()
+        return (word, marks) if marks else (word,)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        nonlocal known, before
+        parts = [space.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
+        need = set(chain.from_iterable(parts))
+        if len(known) + len(need) > CACHED:
+            known, before = {}, known
+        new = need.difference(known)
+        old = new.intersection(before)
+        known.update((c, before[c]) for c in old)
+        pairs = [(c, cut(c)) for c in new - old]
+        words = {w for _, p in pairs for w in p}.difference(known)
+        old = words.intersection(before)
+        known.update((c, before[c]) for c in old)
+        known.update(learn(list(words - old)))
+        known.update([(c, known[p[0]] + known[p[1]] if len(p) > 1 else known[p[0]]) for c, p in pairs])
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode
