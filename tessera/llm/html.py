@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +27,7 @@ from tessera.llm.common import adam
 # Fixed values of HTML: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+CODE = frozenset("script style".split())
 # Elements whose text is none of the page's. A start tag of BREAKOUT ends svg and math, but not within INTEGRATION.
 HIDDEN = frozenset("template svg math object canvas audio video select datalist".split())
 FOREIGN = frozenset("svg math".split())
@@ -38,12 +40,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 SCOPE = frozenset("table td th caption button object html body".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 _STRUCTURE = frozenset("article main section aside nav header footer form figure table ul ol dl div blockquote body".split())
 
 
+@lru_cache(maxsize=16)
+def _ends(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
 @dataclass
 class Block:
     text: str
@@ -52,12 +59,20 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in its order, without text within HIDDEN elements; character references are decoded, white space is one space."""
+    """The leaf blocks of a page in its order, without text within HIDDEN elements; character references are decoded, white space is one space.
+
+    A script or style without an end tag goes to the end of the page; other elements of plain text without one are
+    passed over, and what follows them stays. Time is linear in the page's length.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = whole = links = hidden = at = 0
     path: tuple = ()
+    last = html.rfind(">") + 1  # no tag ends behind it, so none is looked for there
+    unclosed: set[str] = set()
+    held_open: Counter[str] = Counter()  # open elements by tag
+    outers: list[int] = []  # for each open element the depth of the outermost svg or math around what it holds, -1 in none or in HTML within it
 
     def flush() -> None:
         nonlocal parts, linked, whole
@@ -71,6 +86,8 @@ def blocks(html: str) -> list[Block]:
         nonlocal links, hidden
         while len(stack) > depth:
             tag, _ = stack.pop()
+            outers.pop()
+            held_open[tag] -= 1
             if tag == "a":
                 links -= 1
             elif tag in HIDDEN:
@@ -78,19 +95,8 @@ def blocks(html: str) -> list[Block]:
             elif tag not in INLINE and not hidden:
                 flush()
 
-    def foreign() -> int:
-        """The depth of the outermost svg or math that the next tag is in, -1 if it is in none or in HTML within it."""
-        found = -1
-        for depth in range(len(stack) - 1, -1, -1):
-            held = stack[depth][0]
-            if held in FOREIGN:
-                found = depth
-            elif held in INTEGRATION or held in HIDDEN:
-                break
-        return found
-
     while True:
-        m = _TOKEN.search(html, at)
+        m = _TOKEN.search(html, at, max(last, at))
         text = html[at : m.start() if m else len(html)]
         if text and not hidden:
             size = len(text.strip())
@@ -106,11 +112,13 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         tag = name.lower()
         if m[1] or m[4]:
             inside = hidden
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if held_open[tag] else ():
                 if stack[depth][0] == tag:
                     close(depth)
                     break
@@ -118,15 +126,22 @@ def blocks(html: str) -> list[Block]:
                 flush()
             continue
         attributes = m[3] or m[6] or ""
-        outer = foreign() if hidden else -1
+        outer = outers[-1] if hidden and outers else -1
         if outer >= 0 and tag in BREAKOUT:
             close(outer)
             outer = -1
         if attributes.rstrip().endswith("/") and (outer >= 0 or tag in FOREIGN):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = None if tag in unclosed else _ends(tag).search(html, at, max(last, at))
+            if end:
+                at = end.end()
+            elif tag in CODE:
+                at = last = len(html)
+            else:  # without an end tag, what follows is taken for the page's
+                unclosed.add(tag)
+                if tag == "title":
+                    flush()
             continue
         if tag in VOID:
             if hidden:
@@ -142,7 +157,7 @@ def blocks(html: str) -> list[Block]:
             if stack and stack[-1][0] == "head":
                 close(len(stack) - 1)
             own, within = CLOSES.get(tag, ("", ()))
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if held_open["p"] or any(held_open[t] for t in own.split()) else ():
                 held = stack[depth][0]
                 if held == "p" or own and held in own.split():
                     close(depth)
@@ -154,6 +169,9 @@ def blocks(html: str) -> list[Block]:
         if "=" in attributes:
             words = tuple(dict.fromkeys(w for v in _NAMED.findall(attributes) for w in _WORD.findall((v[0] or v[1] or v[2]).lower())))
         if not attributes.rstrip().endswith("/") or tag not in INLINE:
+            around = outers[-1] if outers else -1
+            outers.append((around if around >= 0 else len(stack)) if tag in FOREIGN else -1 if tag in INTEGRATION or tag in HIDDEN else around)
+            held_open[tag] += 1
             stack.append((tag, words))
             links += tag == "a"
             hidden += tag in HIDDEN

@@ -23,3 +23,29 @@ from tessera.llm.html import blocks
 )
 def test_text_around_hidden_elements_stays(page, texts):
     assert [b.text for b in blocks(page)] == texts
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>one <textarea>two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one</p><iframe src=x><p>two</p>", ["one", "two"]),
+        ("<title>name<p>one</p>", ["name", "one"]),
+        ("<p>one</p><title>name</title><iframe>no</iframe><p>two</p>", ["one", "two"]),
+        ("<p>one</p><script>no <p>no</p>", ["one"]),
+        ("<p>one</p><style>no", ["one"]),
+        ("<p>one</p><!-- no <p>no</p> no", ["one"]),
+        ("<p>one</p>two <b", ["one", "two <b"]),
+    ],
+)
+def test_elements_without_an_end(page, texts):
+    assert [b.text for b in blocks(page)] == texts
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", "<textarea>", "<iframe><b ", "<!-", "<p", "<!--", "</", "<svg><a ", '<a b="c>', "<div>", "<div></b>", "<li>"])
+def test_time_is_linear(part):
+    import time
+
+    start = time.process_time()
+    blocks(part * (500_000 // len(part)))
+    assert time.process_time() - start < 5
