@@ -618,3 +618,6 @@ def scaled_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [c for c in FEATURES if c != "l_extendedprice"]
     df = preprocess.StandardScaler(columns).fit_transform(df)
     return rounded(linear.LinearRegression(columns, "l_extendedprice").fit_transform(df), 4)
+
+
+from tessera.plans import learning  # noqa: E402, F401  registers its queries here
