@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import neighbours, running
+
 _EPS = 2.0**-52
 
 
@@ -167,15 +169,19 @@ def hinge_loss(df: DataFrame, y: str, decision: str) -> DataFrame:
 
 
 def threshold_counts(df: DataFrame, y: str, score: str) -> DataFrame:
-    """threshold, tp, fp, fn, tn for each distinct score from the highest: what is at least the threshold counts as 1.
+    """threshold, tp, fp, fn, tn for each distinct score."""
+    return _threshold_counts(df, y, score).drop("own")
+
 
-    Rows are first summed by score. The running sums take one row for each distinct score.
+def _threshold_counts(df: DataFrame, y: str, score: str) -> DataFrame:
+    """threshold, tp, fp, fn, tn and own (the 1s of this very score) for each distinct score from the highest: what is at least the threshold counts as 1.
+
+    Rows are first summed by score; the running sums go by ranges of scores.
     """
     by = df.groupBy(F.col(score).alias("threshold")).agg(F.sum((F.col(y) == 1).cast("long")).alias("p"), F.sum((F.col(y) != 1).cast("long")).alias("q"))
-    w = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
     whole = by.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    run = by.select("threshold", F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
-    return run.crossJoin(F.broadcast(whole)).select("threshold", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("Q") - F.col("fp")).alias("tn"))
+    run = running(by.withColumn("own", F.col("p")), "threshold", ["p", "q"]).select("threshold", F.col("p").cast("long").alias("tp"), F.col("q").cast("long").alias("fp"), "own")
+    return run.crossJoin(F.broadcast(whole)).select("threshold", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("Q") - F.col("fp")).alias("tn"), "own")
 
 
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -183,9 +189,9 @@ def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     c = threshold_counts(df, y, score)
     start = c.limit(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), (F.col("fn") + F.col("tp")).alias("fn"), (F.col("tn") + F.col("fp")).alias("tn"))
     c = c.select("threshold", "tp", "fp", "fn", "tn").unionByName(start)
-    w = W.orderBy(F.desc("threshold"))
-    dt, df_ = F.col("tp") - F.lag("tp").over(w), F.col("fp") - F.lag("fp").over(w)
-    et, ef = F.lead("tp").over(w) - F.col("tp"), F.lead("fp").over(w) - F.col("fp")
+    c = neighbours(c.withColumn("below", -F.col("threshold")), ["below"], ["tp", "fp"])
+    dt, df_ = F.col("tp") - F.col("before_tp"), F.col("fp") - F.col("before_fp")
+    et, ef = F.col("after_tp") - F.col("tp"), F.col("after_fp") - F.col("fp")
     kept = c.withColumn("bend", F.coalesce((dt != et) | (df_ != ef), F.lit(True))).where("bend")
     return kept.select("threshold", F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")).alias("fpr"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("tpr"))
 
@@ -203,23 +209,23 @@ def det_curve(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_auc_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """Area under the curve: pairs in order, ties a half, from counts by score."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.sum((F.col(y) == 1).cast("double")).alias("p"), F.sum((F.col(y) != 1).cast("double")).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rows = by.select((F.col("p") * (below + F.col("q") / 2)).alias("good"), "p", "q")
+    run = running(by.withColumn("above", F.col("q")), "s", ["above"])  # with the score's own
+    whole = by.agg(F.sum("q").alias("all_q"))
+    rows = run.crossJoin(F.broadcast(whole)).select((F.col("p") * (F.col("all_q") - F.col("above") + F.col("q") / 2)).alias("good"), "p", "q")
     return rows.agg(F.try_divide(F.sum("good"), F.sum("p") * F.sum("q")).alias("roc_auc"))
 
 
 def average_precision_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    c = threshold_counts(df, y, score)
-    new = F.col("tp") - F.coalesce(F.lag("tp").over(W.orderBy(F.desc("threshold"))), F.lit(0))
-    rows = c.select((new / (F.col("tp") + F.col("fn")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("part"))
+    c = _threshold_counts(df, y, score)
+    rows = c.select((F.col("own") / (F.col("tp") + F.col("fn")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("part"))
     return rows.agg(F.sum("part").alias("average_precision"))
 
 
 def auc(df: DataFrame, x: str, y: str) -> DataFrame:
     """Trapezoids under y over rising x."""
-    w = W.orderBy(x)
-    part = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return df.select(part.alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("auc"))
+    rows = neighbours(df.select(F.col(x).alias("x"), F.col(y).alias("y")), ["x", "y"], ["x", "y"])
+    part = (F.col("x") - F.col("before_x")) * (F.col("y") + F.col("before_y")) / 2
+    return rows.select(part.alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("auc"))
 
 
 def calibration_curve(df: DataFrame, y: str, prob: str, n_bins: int = 5) -> DataFrame:

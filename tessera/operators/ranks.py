@@ -23,3 +23,23 @@ def numbered(df: DataFrame, key: Sequence[str], name: str = "row") -> DataFrame:
     starts = counts.select("__range", before.alias("__before"))
     within = F.row_number().over(W.partitionBy("__range").orderBy(*key)) - 1
     return ranged.withColumn(name, within).join(starts, "__range").withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__range", "__before")
+
+
+def running(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
+    """Sums over all rows whose key is at least a row's own; keys are distinct. Ranges are summed first, so no task sorts everything."""
+    ranged = stored(rows.repartitionByRange(F.desc(key)).withColumn("__range", F.spark_partition_id()))
+    parts = ranged.groupBy("__range").agg(F.max(key).alias("__first"), *[F.sum(c).alias(f"__{c}") for c in sums])
+    before = W.orderBy(F.desc("__first")).rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select("__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__b{c}") for c in sums])
+    within = W.partitionBy("__range").orderBy(F.desc(key))
+    out = ranged.select("*", *[F.sum(c).over(within).alias(f"__w{c}") for c in sums]).join(F.broadcast(starts), "__range")
+    return out.select(*[c for c in rows.columns if c not in sums], *[(F.col(f"__w{c}") + F.col(f"__b{c}")).alias(c) for c in sums])
+
+
+def neighbours(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds before_c and after_c, the values of the rows before and after in the order of `key`, null at the ends."""
+    rows = numbered(df, key, "__at")
+    for name, step in (("before", 1), ("after", -1)):
+        other = rows.select((F.col("__at") + step).alias("__to"), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+        rows = rows.join(other, F.col("__at") == F.col("__to"), "left").drop("__to")
+    return rows.drop("__at")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.errors import InvalidParameter
 from tessera.operators import metrics
 from tessera.operators.pairwise import DISTANCES, kernels, pairwise
+from tessera.operators.ranks import running
 
 #: Clusters on either side of a contingency table that reaches the driver.
 MOST_CLUSTERS = 3000
@@ -107,21 +108,6 @@ def metric_at_thresholds(df: DataFrame, y: str, score: str, measure: Callable[[C
     return rows.select("threshold", measure(F.col("all_n") - F.col("n"), F.col("n"), F.col("all_p") - F.col("p"), F.col("p")).alias("value"))
 
 
-def running(rows: DataFrame, key: str, sums: list[str]) -> DataFrame:
-    """Sums over all rows whose key is at least a row's own; keys are distinct. Ranges are summed first, so no task sorts everything."""
-    from pyspark.sql import Window as W
-
-    from tessera.plans.storage import stored
-
-    ranged = stored(rows.repartitionByRange(F.desc(key)).withColumn("__range", F.spark_partition_id()))
-    parts = ranged.groupBy("__range").agg(F.max(key).alias("__first"), *[F.sum(c).alias(f"__{c}") for c in sums])
-    before = W.orderBy(F.desc("__first")).rowsBetween(W.unboundedPreceding, -1)
-    starts = parts.select("__range", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0.0)).alias(f"__b{c}") for c in sums])
-    within = W.partitionBy("__range").orderBy(F.desc(key))
-    out = ranged.select("*", *[F.sum(c).over(within).alias(f"__w{c}") for c in sums]).join(F.broadcast(starts), "__range")
-    return out.select(*[c for c in rows.columns if c not in sums], *[(F.col(f"__w{c}") + F.col(f"__b{c}")).alias(c) for c in sums])
-
-
 def consensus_score(a: list[tuple[set, set]], b: list[tuple[set, set]]) -> float:
     """The best matching of two lists of biclusters (rows, columns) by Jaccard index, over the longer list."""
     n = max(len(a), len(b))

@@ -526,7 +526,13 @@ register("predefined_split", "SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' TH
     lambda spark, sf_dir: splits.predefined_split(table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 8).otherwise(-1).alias("given")), "given").select("o_orderkey", "fold")
 )
 register("group_k_fold", None)(lambda spark, sf_dir: splits.group_k_fold(table(spark, sf_dir, "orders"), "o_orderpriority", 3).groupBy("fold").agg(F.count("*").alias("n")))
-register("stratified_k_fold", None)(lambda spark, sf_dir: splits.stratified_k_fold(table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderstatus", 5).select("o_orderkey", "fold"))
+register(
+    "stratified_k_fold",
+    """WITH c AS (SELECT o_orderstatus AS k, count(*) AS n, sum(count(*)) OVER (ORDER BY o_orderstatus) - count(*) AS s FROM orders GROUP BY 1),
+        e AS (SELECT k, f, sum((s + n - 1 - f + 5) // 5 - (s - 1 - f + 5) // 5) OVER (PARTITION BY k ORDER BY f) AS ends FROM c, (SELECT unnest([0, 1, 2, 3, 4]) AS f)),
+        r AS (SELECT o_orderkey, o_orderstatus AS k, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place FROM orders)
+        SELECT o_orderkey, count(*) FILTER (place >= ends)::INTEGER AS fold FROM r JOIN e USING (k) GROUP BY 1""",
+)(lambda spark, sf_dir: splits.stratified_k_fold(table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderstatus", 5).select("o_orderkey", "fold"))
 register("train_test_split", None)(lambda spark, sf_dir: splits.train_test_split(table(spark, sf_dir, "orders"), ["o_orderkey"], 0.2, 7).select("o_orderkey", "part"))
 
 # --- linear models ---
@@ -578,8 +584,20 @@ for _name, (_op, _sql) in _scored.items():
         f"""WITH c AS ({_BY}), f AS (SELECT 1e-9 * greatest(var_pop(l_quantity), var_pop(l_extendedprice)) AS f FROM lineitem)
             SELECT l_orderkey, l_linenumber, prediction FROM (SELECT l_orderkey, l_linenumber, k AS prediction, row_number() OVER (PARTITION BY line ORDER BY {_sql} DESC, k) AS r FROM (SELECT *, row_number() OVER () AS line FROM lineitem), c, f) WHERE r = 1""",
     )(lambda spark, sf_dir, op=_op: op.fit_transform(table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag", *FEATURES)).select(*LINE, "prediction"))
-for _name, _kind in {"multinomial_nb": bayes.MultinomialNB, "complement_nb": bayes.ComplementNB, "bernoulli_nb": bayes.BernoulliNB}.items():
-    register(_name, None)(lambda spark, sf_dir, kind=_kind: kind(FEATURES, "l_returnflag").fit_transform(table(spark, sf_dir, "lineitem")).select(*LINE, "prediction"))
+_sums = ", ".join(f"sum({c}) AS s{i}, count(*) FILTER ({c} > 0) AS b{i}" for i, c in enumerate(FEATURES))
+_own, _all = " + ".join(f"s{i}" for i in range(4)), " + ".join(f"t{i}" for i in range(4))
+_bayes = {
+    "multinomial_nb": (bayes.MultinomialNB, "ln(n / tn) + " + " + ".join(f"{c} * ln((s{i} + 1) / ({_own} + 4))" for i, c in enumerate(FEATURES))),
+    "complement_nb": (bayes.ComplementNB, " - ".join(["0", *[f"{c} * ln((t{i} - s{i} + 1) / ({_all} - ({_own}) + 4))" for i, c in enumerate(FEATURES)]])),
+    "bernoulli_nb": (bayes.BernoulliNB, "ln(n / tn) + " + " + ".join(f"CASE WHEN {c} > 0 THEN ln((b{i} + 1) / (n + 2)) ELSE ln(1 - (b{i} + 1) / (n + 2)) END" for i, c in enumerate(FEATURES))),
+}
+for _name, (_kind, _sql) in _bayes.items():
+    register(
+        _name,
+        f"""WITH c AS (SELECT l_returnflag AS k, count(*) AS n, {_sums} FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS tn, {", ".join(f"sum(s{i}) AS t{i}" for i in range(4))} FROM c)
+            SELECT l_orderkey, l_linenumber, prediction FROM (SELECT l_orderkey, l_linenumber, k AS prediction, row_number() OVER (PARTITION BY line ORDER BY {_sql} DESC, k) AS r
+            FROM (SELECT *, row_number() OVER () AS line FROM lineitem), c, t) WHERE r = 1""",
+    )(lambda spark, sf_dir, kind=_kind: kind(FEATURES, "l_returnflag").fit_transform(table(spark, sf_dir, "lineitem")).select(*LINE, "prediction"))
 
 # --- covariance, components, clusters ---
 

@@ -6,6 +6,7 @@ Columns are x0, x1, ... and y (or t). The streams of random numbers are Spark's.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -113,3 +114,85 @@ def make_hastie_10_2(spark: SparkSession, n_samples: int = 100, seed: int = 0) -
 def make_sparse_uncorrelated(spark: SparkSession, n_samples: int = 100, n_features: int = 10, seed: int = 0) -> DataFrame:
     rows = _rows(spark, n_samples).select("id", *[_normal(seed, j).alias(f"x{j}") for j in range(n_features)])
     return rows.withColumn("y", F.col("x0") + 2 * F.col("x1") - 2 * F.col("x2") - 1.5 * F.col("x3") + _normal(seed, n_features))
+
+
+def _columns(n_features: int, expression) -> list:
+    return [expression(j).alias(f"x{j}") for j in range(n_features)]
+
+
+def make_gaussian_quantiles(spark: SparkSession, n_samples: int = 100, n_features: int = 2, n_classes: int = 3, seed: int = 0) -> DataFrame:
+    """Normal columns; y is the ring of the squared length that the row falls in, rings of equal chance."""
+    from tessera.functions.numeric import ChiSquared
+
+    rows = _rows(spark, n_samples).select("id", *_columns(n_features, lambda j: _normal(seed, j)))
+    far = sum((F.col(f"x{j}") ** 2 for j in range(n_features)), F.lit(0.0))
+    law, y = ChiSquared(n_features), F.lit(0)
+    for k in range(1, n_classes):
+        y = F.when(far >= law.ppf(k / n_classes), k).otherwise(y)
+    return rows.withColumn("y", y)
+
+
+def make_multilabel_classification(spark: SparkSession, n_samples: int = 100, n_features: int = 20, n_classes: int = 5, n_labels: int = 2, length: int = 50, seed: int = 0) -> DataFrame:
+    """labels (a sorted array) and word counts: each label has words of its own, a row's words are drawn from its labels'."""
+    labels = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(n_labels)), lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), k), F.lit(n_classes)).cast("int")))
+    rows = _rows(spark, n_samples).select("id", F.sort_array(labels).alias("labels"))
+    word = lambda i: F.pmod(F.xxhash64(F.lit(seed + 2), F.element_at("labels", (F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id"), i), F.size("labels")) + 1).cast("int")), F.pmod(F.xxhash64(F.lit(seed + 3), F.col("id"), i), F.lit(max(2, n_features // 4)))), F.lit(n_features))
+    words = rows.withColumn("__w", F.transform(F.sequence(F.lit(1), F.lit(length)), word))
+    return words.select("id", *_columns(n_features, lambda j: F.size(F.filter("__w", lambda w: w == j)).cast("double")), "labels")
+
+
+def make_low_rank_matrix(spark: SparkSession, n_samples: int = 100, n_features: int = 100, rank: int = 10, tail: float = 0.5, seed: int = 0) -> DataFrame:
+    """Columns of a product of normal factors whose sizes fall as a bell up to `rank`, with a long tail of share `tail`."""
+    k = min(n_samples, n_features, 4 * rank)
+    sizes = [(1 - tail) * math.exp(-((i / rank) ** 2)) + tail * math.exp(-0.1 * i / rank) for i in range(k)]
+    right = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_features, k)))[0]
+    rows = _rows(spark, n_samples).select("id", *[(_normal(seed, i) * (sizes[i] / math.sqrt(n_samples))).alias(f"__u{i}") for i in range(k)])
+    return rows.select("id", *_columns(n_features, lambda j: sum((F.col(f"__u{i}") * float(right[j, i]) for i in range(k)), F.lit(0.0))))
+
+
+def make_spd_matrix(n: int, seed: int = 0):
+    """A symmetric positive definite matrix."""
+    r = np.random.default_rng(seed)
+    a = r.uniform(size=(n, n))
+    u, _, v = np.linalg.svd(a.T @ a)
+    return u @ (1 + np.diag(r.uniform(size=n))) @ v
+
+
+def make_sparse_spd_matrix(n: int, alpha: float = 0.95, low: float = 0.1, high: float = 0.9, seed: int = 0):
+    """A symmetric positive definite matrix from a Cholesky factor with a share `alpha` of zeros off its diagonal."""
+    r = np.random.default_rng(seed)
+    lower = np.tril(np.where(r.uniform(size=(n, n)) > alpha, -r.uniform(low, high, (n, n)), 0.0), -1) - np.eye(n)
+    order = r.permutation(n)
+    lower = lower[order][:, order]
+    return lower @ lower.T
+
+
+def make_sparse_coded_signal(spark: SparkSession, n_samples: int = 100, n_features: int = 10, n_components: int = 20, n_nonzero: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame, object]:
+    """(signals, code entries (row, col, value), dictionary of unit rows): each signal is a sum of n_nonzero dictionary rows."""
+    atoms = np.random.default_rng(seed).normal(size=(n_components, n_features))
+    atoms /= np.linalg.norm(atoms, axis=1, keepdims=True)
+    order = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n_components - 1)), lambda c: F.struct(F.xxhash64(F.lit(seed), F.col("id"), c).alias("o"), c.alias("c")))), 1, n_nonzero)
+    code = _rows(spark, n_samples).select("id", F.explode(order).alias("e")).select(F.col("id").alias("row"), F.col("e.c").cast("long").alias("col"))
+    code = code.withColumn("value", (F.pmod(F.xxhash64(F.lit(seed + 1), "row", "col"), F.lit(2_000_001)) - 1_000_000) / 500_000.0)
+    table = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(atoms)], ", ".join(["col long", *[f"x{j} double" for j in range(n_features)]]))
+    signals = code.join(F.broadcast(table), "col").groupBy(F.col("row").alias("id")).agg(*[F.sum(F.col("value") * F.col(f"x{j}")).alias(f"x{j}") for j in range(n_features)])
+    return signals, code, atoms
+
+
+def _blocks(spark: SparkSession, shape: tuple[int, int], clusters: tuple[int, int], value, noise: float, seed: int) -> DataFrame:
+    r = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(clusters[0])).cast("int")
+    rows = _rows(spark, shape[0]).select("id", r.alias("row_cluster"))
+    of = lambda j: zlib.crc32(f"{seed} {j}".encode()) % clusters[1]
+    return rows.select("id", "row_cluster", *_columns(shape[1], lambda j: value(F.col("row_cluster"), of(j)) + _normal(seed, j) * noise))
+
+
+def make_biclusters(spark: SparkSession, shape: tuple[int, int] = (100, 20), n_clusters: int = 3, noise: float = 0.0, low: float = 10.0, high: float = 100.0, seed: int = 0) -> DataFrame:
+    """Rows and columns dealt to clusters; a value from low to high where both are in one cluster, else 0, plus noise."""
+    step = (high - low) / max(n_clusters - 1, 1)
+    return _blocks(spark, shape, (n_clusters, n_clusters), lambda r, c: F.when(r == c, low + step * c).otherwise(0.0), noise, seed)
+
+
+def make_checkerboard(spark: SparkSession, shape: tuple[int, int] = (100, 20), n_clusters: tuple[int, int] = (3, 2), noise: float = 0.0, low: float = 10.0, high: float = 100.0, seed: int = 0) -> DataFrame:
+    """Rows and columns dealt to clusters; each pair of clusters has a value of its own from low to high, plus noise."""
+    step = (high - low) / max(n_clusters[0] * n_clusters[1] - 1, 1)
+    return _blocks(spark, shape, n_clusters, lambda r, c: (r * n_clusters[1] + c) * step + low, noise, seed)
