@@ -12,13 +12,10 @@ import numpy as np
 
 #: Entries of the cache from a chunk of text to its ids. Beyond this number it becomes the older of two generations, whose
 #: entries are taken over as they are met again and otherwise go; this bounds a worker's memory.
-CACHED = 400_000
+CACHED = 200_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone.
 _MARK = "\x01"
-#: Marks that end chunks; whether words before them can be encoded alone is tried on some.
-_ENDS = ".,;:!?"
-_PROBES, _MARKS = ("word", "a", "entailment", "caf\u00e9", "stra\u00dfe", "\u4e2d\u6587", "\u0434\u043e\u043c"), (".", ",", ";", ":", "!", "?", "...", "?!", ".,")
 
 
 @lru_cache(maxsize=2)
@@ -57,24 +54,6 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
         found.update((c, ids(c).tobytes()) for c in chunks if _MARK in c)
         return found
 
-    known.update(learn([*_PROBES, *_MARKS]))
-    joins = all(ids(a + b).tobytes() == known[a] + known[b] for a in _PROBES for b in _MARKS)
-    folds = all(ids(a.upper()).tobytes() == known[a] for a in _PROBES if a.isascii())
-
-    def cut(chunk: str) -> tuple[str, ...]:
-        """The word, in lower case if that makes no difference, and the marks behind it, if both can be encoded alone."""
-        word, marks = chunk, ""
-        if joins:
-            word = chunk.rstrip(_ENDS)
-            last = word[-1:].lower()
-            if len(last) == 1 and last.isalpha():
-                marks = chunk[len(word) :]
-            else:
-                word = chunk
-        if folds and word.isascii():
-            word = word.lower()
-        return (word, marks) if marks else (word,)
-
     def encode(texts: list[str]) -> list[bytes]:
         nonlocal known, before
         parts = [space.split(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
@@ -84,12 +63,7 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
         new = need.difference(known)
         old = new.intersection(before)
         known.update((c, before[c]) for c in old)
-        pairs = [(c, cut(c)) for c in new - old]
-        words = {w for _, p in pairs for w in p}.difference(known)
-        old = words.intersection(before)
-        known.update((c, before[c]) for c in old)
-        known.update(learn(list(words - old)))
-        known.update([(c, known[p[0]] + known[p[1]] if len(p) > 1 else known[p[0]]) for c, p in pairs])
+        known.update(learn(list(new - old)))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode
