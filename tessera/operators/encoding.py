@@ -16,6 +16,7 @@ from tessera.operators.linear import LinearRegression
 from tessera.operators.model_selection import cross_val_score
 from tessera.operators.preprocess import MaxAbsScaler, MinMaxScaler, Normalizer, RobustScaler
 from tessera.operators.text import tokens
+from tessera.plans.storage import stored
 
 # --- functions in place of estimators ---
 
@@ -204,7 +205,7 @@ class IterativeImputer(Estimator):
                 rest = [o for o in self.columns if o != c]
                 model = LinearRegression(rest, f"__{c}", "__p").fit(now.where(F.col(f"__{c}").isNotNull()))
                 models[c] = model
-                now = now.withColumn(c, F.coalesce(F.col(f"__{c}"), model.expression()))
+                now = stored(now.withColumn(c, F.coalesce(F.col(f"__{c}"), model.expression())))  # else expressions nest
             rounds.append(models)
         return _Imputed(self.columns, means, rounds)
 
@@ -222,7 +223,7 @@ class _Imputed(Model):
         now = self.start(df)
         for models in self.rounds:
             for c, model in models.items():
-                now = now.withColumn(c, F.coalesce(F.col(f"__{c}"), model.expression()))
+                now = stored(now.withColumn(c, F.coalesce(F.col(f"__{c}"), model.expression())))
         return now.drop(*[f"__{c}" for c in self.columns])
 
 
