@@ -101,8 +101,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
-def _runs(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of a few MB; null is empty."""
+def _runs(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of about `most` characters, small enough for a processor's own cache; null is empty."""
     texts, first, size = [], 0, 0
     for i, value in enumerate(column):
         text = value.as_py() or ""
