@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import adam, labelled_sample, text_buffers, with_score, word_hashes
+from tessera.llm.common import SCORED_AT_ONCE, adam, labelled_sample, release_memory, text_buffers, with_score, word_hashes
 
 #: Labelled documents of each class that the model is fitted on at most.
 PER_CLASS = 2000
@@ -115,7 +115,7 @@ class QualityModel:
 def fit(rows: list[tuple[str, int]], steps: int = 250, seed: int = 11) -> QualityModel:
     """Fits on (text, label) rows, both classes counting the same; without both, every text with words scores the share of label 1."""
     docs, parts = [], []
-    for first, buf, offsets in text_buffers(pa.array([t for t, _ in rows], pa.string())):
+    for first, buf, offsets in text_buffers(pa.array([t for t, _ in rows], pa.string()), SCORED_AT_ONCE):
         d, x = passages(buf, offsets)
         docs.append(d + first)
         parts.append(x)
@@ -151,7 +151,9 @@ def fit(rows: list[tuple[str, int]], steps: int = 250, seed: int = 11) -> Qualit
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Fits on at most `per_class` documents of each value of labels.quality."""
-    return fit(labelled_sample(docs, labels, "quality", per_class))
+    model = fit(labelled_sample(docs, labels, "quality", per_class))
+    release_memory()
+    return model
 
 
 SCORED = "doc_id long, score double, passages int, best_passage int"

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import adam, labelled_sample, text_buffers, with_score, word_hashes
+from tessera.llm.common import adam, labelled_sample, release_memory, text_buffers, with_score, word_hashes
 
 #: Labelled documents of each class that the model is fitted on at most.
 PER_CLASS = 3000
@@ -128,7 +128,9 @@ def fit(rows: list[tuple[str, int]], steps: int = 300) -> ToxicityModel:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fits on at most `per_class` documents of each value of labels.toxic."""
-    return fit(labelled_sample(docs, labels, "toxic", per_class))
+    model = fit(labelled_sample(docs, labels, "toxic", per_class))
+    release_memory()
+    return model
 
 
 SCORED = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"
