@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.base import Estimator, Model
+from tessera.plans.storage import stored
+
+#: Vocabularies of so many terms at most are broadcast.
+BROADCAST_TERMS = 1_000_000
 
 
 def tokens(text: Column, lowercase: bool = True) -> Column:
@@ -18,32 +25,52 @@ class CountVectorizer(Estimator):
     """Counts of each document's terms. Terms need min_df documents and at most the share max_df of them.
 
     With max_features only the most frequent terms stay (ties by name). The vocabulary stays a DataFrame, so its size
-    is not bounded; its columns are term, df and index, the place in code-point order.
+    is not bounded; its columns are term and df. Texts are dealt by key once, before they are cut into terms, so that what
+    is counted and scaled by key is not dealt again.
     """
 
     def __init__(self, key: str, text: str, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, binary: bool = False):
         self.key, self.text, self.min_df, self.max_df, self.max_features, self.binary = key, text, min_df, max_df, max_features, binary
 
     def counts(self, df: DataFrame) -> DataFrame:
-        terms = df.select(self.key, F.explode(tokens(F.col(self.text))).alias("term"))
+        """key, term and n, dealt by key."""
+        terms = df.select(self.key, self.text).repartition(self.key).select(self.key, F.explode(tokens(F.col(self.text))).alias("term"))
         n = F.lit(1) if self.binary else F.count("*")
         return terms.groupBy(self.key, "term").agg(n.cast("long").alias("n"))
 
+    def frequencies(self, df: DataFrame) -> DataFrame:
+        """term and df. A row whose key is its own is a whole document, so its terms are told apart where it stands."""
+        repeated = stored(df.groupBy(F.col(self.key).alias("__k")).count().where("count > 1").select("__k"))
+        own, terms = df, []
+        if not repeated.isEmpty():
+            same = F.col(self.key).eqNullSafe(F.col("__k"))
+            own, terms = df.join(repeated, same, "left_anti"), [self.counts(df.join(repeated, same, "left_semi")).select("term")]
+        found = own.select(F.explode(F.array_distinct(tokens(F.col(self.text)))).alias("term"))
+        return reduce(DataFrame.unionAll, terms, found).groupBy("term").agg(F.count("*").alias("df"))
+
     def fit(self, df: DataFrame) -> CountVectorizerModel:
         rows = df.count()
-        vocabulary = self.counts(df).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+        if self.max_features is None:
+            vocabulary = self.frequencies(df)
+        else:
+            vocabulary = self.counts(df).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
         vocabulary = vocabulary.where((F.col("df") >= self.min_df) & (F.col("df") <= self.max_df * rows))
         if self.max_features is not None:
             vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(self.max_features)
-        return CountVectorizerModel(self, vocabulary.select("term", "df"), rows)
+        return CountVectorizerModel(self, stored(vocabulary.select("term", "df")), rows)
 
 
 class CountVectorizerModel(Model):
     def __init__(self, settings: CountVectorizer, vocabulary: DataFrame, rows: int):
         self.settings, self.vocabulary, self.rows = settings, vocabulary, rows
 
+    def known(self, counts: DataFrame) -> DataFrame:
+        """The counts of terms of the vocabulary, with df; a vocabulary that was counted to be small is broadcast."""
+        few = self.vocabulary.count() <= BROADCAST_TERMS
+        return counts.join(F.broadcast(self.vocabulary) if few else self.vocabulary, "term")
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.settings.counts(df).join(self.vocabulary.select("term"), "term", "left_semi").select(self.settings.key, "term", "n")
+        return self.known(self.settings.counts(df)).select(self.settings.key, "term", "n")
 
 
 class TfidfVectorizer(Estimator):
@@ -65,9 +92,9 @@ class _Tfidf(Model):
         s, n, key = self.settings, F.lit(float(self.counts.rows)), self.counts.settings.key
         idf = F.ln((n + 1) / (F.col("df") + 1)) if s.smooth_idf else F.ln(n / F.col("df"))
         tf = F.ln("n") + 1 if s.sublinear_tf else F.col("n")
-        rows = self.counts.settings.counts(df).join(self.counts.vocabulary, "term").select(key, "term", (tf * (idf + 1)).alias("weight"))
+        rows = self.counts.known(self.counts.settings.counts(df)).select(key, "term", (tf * (idf + 1)).alias("weight"))
         if s.norm is None:
             return rows
-        size = F.sqrt(F.sum(F.col("weight") ** 2)) if s.norm == "l2" else F.sum(F.abs("weight"))
-        sizes = rows.groupBy(key).agg(size.alias("size"))
-        return rows.join(sizes, key).select(key, "term", (F.col("weight") / F.col("size")).alias("weight"))
+        own = W.partitionBy(key)
+        size = F.sqrt(F.sum(F.col("weight") ** 2).over(own)) if s.norm == "l2" else F.sum(F.abs("weight")).over(own)
+        return rows.withColumn("size", size).where(F.col(key).isNotNull()).select(key, "term", (F.col("weight") / F.col("size")).alias("weight"))
